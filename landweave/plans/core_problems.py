@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.operators.timestamps import normalise_timestamps
+from landweave.operators.units import normalise_areas
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +21,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("ts_status <> 'blank'").select("table_name", "row_key", "instant_utc")
 
 
-QUERIES = {"p2_found": p2_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent of every record in whole square metres, where a positive extent in a known unit stands."""
+    records = table(spark, sf_dir, "source_records").select("row_ix", "source_system", "district", "area", "area_unit", "area_raw")
+    found = normalise_areas(records, table(spark, sf_dir, "sources"), table(spark, sf_dir, "area_units"))
+    return found.filter("area_sqm is not null").select("row_ix", F.rint("area_sqm").cast("long").alias("area_sqm"))
+
+
+QUERIES = {"p7_found": p7_found, "p2_found": p2_found}
 SQL: dict[str, str] = {}
