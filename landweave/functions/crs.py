@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # WGS84 ellipsoid and UTM parameters.
 A_AXIS = 6378137.0
@@ -92,17 +95,39 @@ def supported(code: Column) -> Column:
     return code.isin(4326, 3857, 900913) | (code.between(32601, 32660)) | (code.between(32701, 32760))
 
 
-def to_lonlat(x: Column, y: Column, code: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees; null outside the supported systems or the range of degrees."""
-    zone = F.pmod(code, F.lit(100)).cast("double")
-    north, south, web = utm_inverse(x, y, zone), utm_inverse(x, y, zone, True), mercator_inverse(x, y)
-
-    def pick(i: int, plain: Column) -> Column:
-        return F.when(code == 4326, plain).when(code.isin(3857, 900913), web[i]).when(code.between(32601, 32660), north[i]).when(code.between(32701, 32760), south[i])
-
-    lon, lat = pick(0, x), pick(1, y)
-    good = lon.between(-180, 180) & lat.between(-90, 90)
-    return F.when(good, lon), F.when(good, lat)
+def lonlat_arrays(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """numpy: coordinates with an EPSG code per point to degrees; NaN outside the supported systems or the globe."""
+    lon, lat = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    for c in np.unique(code[np.isfinite(code)]).astype(int):
+        at = code == c
+        if c == 4326:
+            lon[at], lat[at] = x[at], y[at]
+        elif c in (3857, 900913):
+            lon[at], lat[at] = mercator_inverse(x[at], y[at])
+        elif 32601 <= c <= 32660 or 32701 <= c <= 32760:
+            lon[at], lat[at] = utm_inverse(x[at], y[at], c % 100, c > 32700)
+    with np.errstate(invalid="ignore"):
+        bad = ~((np.abs(lon) <= 180) & (np.abs(lat) <= 90))
+    lon[bad] = lat[bad] = np.nan
+    return lon, lat
+
+
+def with_lonlat(df: DataFrame, x: str, y: str, code: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Replace columns ``x``, ``y``, ``code`` by degrees; null where a coordinate or a supported system is missing.
+
+    In numpy, as the sixth-order series as one expression would be copied by the optimiser wherever it is used.
+    """
+    kept = [c for c in df.columns if c not in (x, y, code, lon, lat)]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(lon, T.DoubleType()), T.StructField(lat, T.DoubleType())])
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arrays = [b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y, code)]
+            with np.errstate(all="ignore"):
+                got = lonlat_arrays(*arrays)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *(pa.array(v, pa.float64(), from_pandas=True) for v in got)], names=[*kept, lon, lat])
+
+    return df.mapInArrow(convert, schema)
 
 
 def from_lonlat(lon: np.ndarray, lat: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.operators.proximity import near_pairs, regions_containing, with_point_position
 from landweave.operators.timestamps import normalise_timestamps
 from landweave.operators.units import normalise_areas
 
@@ -21,6 +22,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("ts_status <> 'blank'").select("table_name", "row_key", "instant_utc")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point records at most 30 m from each other, and the survey zones that contain each."""
+    points = with_point_position(table(spark, sf_dir, "source_records").select("source_record_id", "geometry", "crs"), "geometry", "crs").filter("lon is not null and lat is not null").select("source_record_id", "lon", "lat")
+    near = near_pairs(points, "source_record_id", "lon", "lat", 30.0).select(F.lit("near").alias("relation_kind"), "left_key", "right_key")
+    inside = regions_containing(points, "source_record_id", "lon", "lat", table(spark, sf_dir, "survey_zones"), "zone_id", "geometry", "crs")
+    return near.unionByName(inside.select(F.lit("inside").alias("relation_kind"), F.col("point_key").alias("left_key"), F.col("region_key").alias("right_key")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of every record in whole square metres, where a positive extent in a known unit stands."""
     records = table(spark, sf_dir, "source_records").select("row_ix", "source_system", "district", "area", "area_unit", "area_raw")
@@ -28,5 +37,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("area_sqm is not null").select("row_ix", F.rint("area_sqm").cast("long").alias("area_sqm"))
 
 
-QUERIES = {"p7_found": p7_found, "p2_found": p2_found}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
