@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.operators.drift import schema_changes, unified_table
 from landweave.operators.proximity import near_pairs, regions_containing, with_point_position
 from landweave.operators.timestamps import normalise_timestamps
 from landweave.operators.units import normalise_areas
@@ -22,6 +23,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("ts_status <> 'blank'").select("table_name", "row_key", "instant_utc")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of every delivered file against the preceding file of its feed."""
+    return schema_changes(table(spark, sf_dir, "raw_records"))
+
+
+def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All delivered rows in one consistent long table."""
+    return unified_table(table(spark, sf_dir, "raw_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point records at most 30 m from each other, and the survey zones that contain each."""
     points = with_point_position(table(spark, sf_dir, "source_records").select("source_record_id", "geometry", "crs"), "geometry", "crs").filter("lon is not null and lat is not null").select("source_record_id", "lon", "lat")
@@ -37,5 +48,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("area_sqm is not null").select("row_ix", F.rint("area_sqm").cast("long").alias("area_sqm"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_unified": p4_unified, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
