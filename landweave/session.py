@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,16 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/landweave/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: lineage ends there and the loss of executors is survived.
+
+    A written table rather than checkpoint(): a checkpointed frame keeps the partitioning and constraints inferred for
+    its plan, and planning then slows exponentially over the rounds of an iterative algorithm.
+    """
+    return stored(df, "cut")[0]
 
 
 def stored(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet below the shared folder and read it back."""
+    """Write ``df`` as Parquet below the shared folder (or to ``path``) and read it back."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/landweave/{name}-{uuid.uuid4().hex}"
+    path = path or f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode(mode).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
