@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.llm.consolidate import consolidate
+from landweave.llm.leakage import leaked_items, reparameterised_items
 from landweave.llm.packing import count_tokens, pack
+from landweave.llm.residue import residue
 from landweave.llm.survivor import Field, survivor_votes, survivors, usable_area, usable_parcel_type, usable_ulpin
 from landweave.operators.timestamps import normalise_timestamps
 from landweave.session import maybe_broadcast
@@ -56,9 +58,32 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("item_key").cast("long").alias("doc_id"), "piece_no", "token_start", "token_end", "pack_group", "container")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain twelve consecutive words of an evaluation passage, with the item."""
+    found = leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    return found.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").cast("long").alias("item_id"))
+
+
+def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share a template, with whether their slot values map one to one."""
+    found = reparameterised_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    return found.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").cast("long").alias("item_id"), "n_windows", "n_same", "consistent")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with unfilled slots, filler, error-page messages or script notices."""
+    return residue(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select(F.col("doc_key").alias("doc_id"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack}
 
 SQL = {
+    "p9_found": """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+  v AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+  dw AS (SELECT doc_id, w[i:i + 11] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM w)),
+  vw AS (SELECT item_id, w[i:i + 11] AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM v))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN vw USING (run)""",
     "p3_found": """
 WITH RECURSIVE e AS (SELECT left_id AS u, right_id AS v FROM link_edges WHERE decision = 'match' AND left_id IS NOT NULL AND right_id IS NOT NULL
              UNION SELECT right_id, left_id FROM link_edges WHERE decision = 'match' AND left_id IS NOT NULL AND right_id IS NOT NULL),
