@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from landweave.llm.consolidate import consolidate
 from landweave.llm.leakage import leaked_items, reparameterised_items
+from landweave.llm.matching import match_records
 from landweave.llm.packing import count_tokens, pack
 from landweave.llm.residue import residue
 from landweave.llm.survivor import Field, survivor_votes, survivors, usable_area, usable_parcel_type, usable_ulpin
 from landweave.operators.timestamps import normalise_timestamps
+from landweave.operators.units import normalise_areas
 from landweave.session import maybe_broadcast
 
 #: Folder of public tokenizer files and the file used; parameters, never copied into the repository.
@@ -24,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of different sources that describe one parcel, with score and confidence."""
+    records = table(spark, sf_dir, "source_records").select("row_ix", "source_record_id", "source_system", "district", "tehsil_code", "village", "khasra", "area", "area_unit", "area_raw", "geometry", "crs")
+    measured = normalise_areas(records, table(spark, sf_dir, "sources"), table(spark, sf_dir, "area_units"))
+    return match_records(measured.select(F.col("source_record_id").alias("record_id"), F.col("source_system").alias("source"), F.col("tehsil_code").alias("tehsil"), "village", "khasra", "area_sqm", "geometry", "crs", F.col("row_ix").alias("row")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).select("left_record_id", "right_record_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id on a matching edge with the smallest id connected to it."""
     edges = table(spark, sf_dir, "link_edges").filter("decision = 'match'").select("left_id", "right_id")
@@ -75,7 +88,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select(F.col("doc_key").alias("doc_id"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack}
 
 SQL = {
     "p9_found": """
