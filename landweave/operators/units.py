@@ -117,7 +117,7 @@ def segment(text: str, compound: bool = False, dimension: int = 2) -> dict[tuple
                         relax(j, (4, code, mult, 2), s)
     out: dict[tuple[str, float], float] = {}
     for (state, code, mult, dim), score in best[n].items():
-        if state == 4 and dim == dimension:
+        if state in (3, 4) and dim == dimension:
             out[(code, mult)] = max(score, out.get((code, mult), -1e9))
     return out
 

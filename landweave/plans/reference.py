@@ -361,7 +361,7 @@ def area_conflict(spark: SparkSession, sf: str) -> DataFrame:
 _CH = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 1 - l_discount END AS c1, 1 - l_tax AS c2, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity / 50 END AS c3, CASE WHEN l_returnflag = 'A' THEN ['critical', 'low'] WHEN l_returnflag = 'N' THEN ['medium'] ELSE [] END AS sev FROM lineitem"
 
 
-@query(f"WITH ch AS ({_CH}), b AS (SELECT *, exp((coalesce(0.35 * ln(greatest(c1, 1e-6)), 0) + coalesce(0.25 * ln(greatest(c2, 1e-6)), 0) + coalesce(0.2 * ln(greatest(c3, 1e-6)), 0)) / ((CASE WHEN c1 IS NULL THEN 0 ELSE 0.35 END) + (CASE WHEN c2 IS NULL THEN 0 ELSE 0.25 END) + (CASE WHEN c3 IS NULL THEN 0 ELSE 0.2 END))) AS base, CASE len(sev) WHEN 2 THEN 0.5 * 0.95 WHEN 1 THEN 0.85 ELSE 1.0 END AS factor FROM ch) SELECT l_orderkey, l_linenumber, round(base, 6) AS base_confidence, round(factor, 6) AS conflict_factor, round(least(1, greatest(0, base * factor)), 6) AS final_confidence, concat_ws(', ', CASE WHEN c1 IS NULL THEN 'model' END, CASE WHEN c3 IS NULL THEN 'attribute' END) AS missing FROM b")
+@query(f"WITH ch AS ({_CH}), b AS (SELECT *, exp(((CASE WHEN c1 IS NULL THEN 0.0::DOUBLE ELSE 0.35::DOUBLE * ln(greatest(c1, 1e-6)) END) + (CASE WHEN c2 IS NULL THEN 0.0::DOUBLE ELSE 0.25::DOUBLE * ln(greatest(c2, 1e-6)) END) + (CASE WHEN c3 IS NULL THEN 0.0::DOUBLE ELSE 0.2::DOUBLE * ln(greatest(c3, 1e-6)) END)) / ((CASE WHEN c1 IS NULL THEN 0 ELSE 0.35 END) + (CASE WHEN c2 IS NULL THEN 0 ELSE 0.25 END) + (CASE WHEN c3 IS NULL THEN 0 ELSE 0.2 END))) AS base, (CASE len(sev) WHEN 2 THEN 0.5 * 0.95 WHEN 1 THEN 0.85 ELSE 1.0 END)::DOUBLE AS factor FROM ch) SELECT l_orderkey, l_linenumber, round(base, 6) AS base_confidence, round(factor, 6) AS conflict_factor, round(least(1, greatest(0, base * factor)), 6) AS final_confidence, concat_ws(', ', CASE WHEN c1 IS NULL THEN 'model' END, CASE WHEN c3 IS NULL THEN 'attribute' END) AS missing FROM b")
 def confidence_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     sev = F.when(F.col("l_returnflag") == "A", F.array(F.lit("critical"), F.lit("low"))).when(F.col("l_returnflag") == "N", F.array(F.lit("medium"))).otherwise(F.array().cast("array<string>"))

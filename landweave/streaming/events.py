@@ -51,6 +51,7 @@ def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs a zone; texts without one are UTC here
     out = f"{shared_dir(spark)}/landweave/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, _: int) -> None:
@@ -58,7 +59,8 @@ def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame
 
     run = transform(source).writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    done = spark.read.parquet(f"{out}/data")
+    return done.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in done.dtypes])
 
 
 def ingest_arrivals(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str) -> None:
