@@ -94,7 +94,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, group_items: int = G
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    items = df.select(F.col(key).cast("string").alias("item_key"), F.greatest(F.col(size).cast("long"), F.lit(0)).alias("n")).filter("item_key is not null and n is not null")
+    items = df.select(F.col(key).cast("string").alias("item_key"), F.col(size).cast("long").alias("n")).filter("item_key is not null and n is not null").withColumn("n", F.greatest("n", F.lit(0)))
     count = items.count()
     groups = max(1, -(-count // group_items))
     full = (F.col("n") / capacity).cast("long")
