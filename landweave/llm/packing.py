@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ def load_tokenizer(path: str):  # noqa: ANN201
         import sentencepiece
 
         return sentencepiece.SentencePieceProcessor(model_file=path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -28,6 +30,20 @@ def load_tokenizer(path: str):  # noqa: ANN201
     return tokenizer
 
 
+def _bounded(texts: list[str], characters: int = 200_000) -> Iterator[list[str]]:
+    """The texts in runs of bounded size, as encodings take many times the memory of their texts."""
+    run: list[str] = []
+    size = 0
+    for t in texts:
+        if run and size + len(t) > characters:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 def count_tokens(df: DataFrame, text: str, tokenizer: str, out: str = "n_tokens") -> DataFrame:
     """Add the number of tokens of each text (0 for null or empty); whole texts, special tokens read as plain text."""
 
@@ -36,10 +52,12 @@ def count_tokens(df: DataFrame, text: str, tokenizer: str, out: str = "n_tokens"
         model = load_tokenizer(tokenizer)
         for texts in batches:
             values = texts.fillna("").tolist()
-            if tokenizer.endswith(".model"):
-                sizes = [len(x) for x in model.encode(values, num_threads=1)]
-            else:
-                sizes = [len(x) for x in model.encode_batch_fast(values, add_special_tokens=False)]
+            sizes: list[int] = []
+            for part in _bounded(values):
+                if tokenizer.endswith(".model"):
+                    sizes += [len(x) for x in model.encode(part, num_threads=1)]
+                else:
+                    sizes += [len(x) for x in model.encode_batch_fast(part, add_special_tokens=False)]
             yield pd.Series(sizes, dtype="int64")
 
     return df.withColumn(out, counted(F.col(text)))
