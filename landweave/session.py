@@ -66,6 +66,12 @@ def stored(df: DataFrame, name: str, mode: str = "overwrite", path: str | None =
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small file is one split, however costly its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` holds at most ``rows`` rows (counts no further than the bound)."""
     return df.limit(rows + 1).count() <= rows
