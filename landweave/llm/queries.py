@@ -15,7 +15,7 @@ from landweave.llm.residue import residue
 from landweave.llm.survivor import Field, survivor_votes, survivors, usable_area, usable_parcel_type, usable_ulpin
 from landweave.operators.timestamps import normalise_timestamps
 from landweave.operators.units import normalise_areas
-from landweave.session import maybe_broadcast
+from landweave.session import maybe_broadcast, spread
 
 #: Folder of public tokenizer files and the file used; parameters, never copied into the repository.
 TOKENIZER = os.environ.get("LANDWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -66,26 +66,26 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container of every document, or piece of a document beyond the capacity, in tokens of a public tokenizer."""
-    sized = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", TOKENIZER).select("doc_id", "n_tokens")
+    sized = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", TOKENIZER).select("doc_id", "n_tokens")
     packed = pack(sized, "doc_id", "n_tokens", CAPACITY)
     return packed.select(F.col("item_key").cast("long").alias("doc_id"), "piece_no", "token_start", "token_end", "pack_group", "container")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain twelve consecutive words of an evaluation passage, with the item."""
-    found = leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    found = leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
     return found.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").cast("long").alias("item_id"))
 
 
 def p9_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items that share a template, with whether their slot values map one to one."""
-    found = reparameterised_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
+    found = reparameterised_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
     return found.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").cast("long").alias("item_id"), "n_windows", "n_same", "consistent")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with unfilled slots, filler, error-page messages or script notices."""
-    return residue(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select(F.col("doc_key").alias("doc_id"))
+    return residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select(F.col("doc_key").alias("doc_id"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack}
