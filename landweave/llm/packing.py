@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landweave.session import cut
+
 #: Items of one randomised group: enough for little waste, few enough for one task.
 GROUP_ITEMS = 50_000
 
@@ -113,6 +115,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, group_items: int = G
     if capacity < 1:
         raise ValueError("capacity must be positive")
     items = df.select(F.col(key).cast("string").alias("item_key"), F.col(size).cast("long").alias("n")).filter("item_key is not null and n is not null").withColumn("n", F.greatest("n", F.lit(0)))
+    items = cut(items)  # sizes may be costly to compute: once, not for each use below
     count = items.count()
     groups = max(1, -(-count // group_items))
     full = (F.col("n") / capacity).cast("long")
