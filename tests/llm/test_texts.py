@@ -71,6 +71,13 @@ def test_matches(spark):
     assert match_records(df.limit(0)).count() == 0
 
 
+def test_matches_beside_a_positioned_record(spark):
+    at = '{"type":"Point","coordinates":[75.0,24.0]}'
+    rows = [("a1", "A", "T", "Hagolupur", "12/1", 500.0, at, None, 1), ("a2", "A", "T", "Hagolupur", "12/1", 500.0, None, None, 2), ("a3", "A", "T", None, "12/1", 500.0, None, None, 3), ("b1", "B", "T", "Hagolupur", "12/1", 500.0, at, None, 4)]
+    df = spark.createDataFrame(rows, "record_id string, source string, tehsil string, village string, khasra string, area_sqm double, geometry string, crs string, row long")
+    assert {(r["left_record_id"], r["right_record_id"]) for r in match_records(df).collect()} == {("a1", "b1"), ("a2", "b1"), ("a3", "b1")}
+
+
 @pytest.mark.parametrize("name", ["p3_found", "p9_found"])
 def test_found_against_duckdb(spark, name):
     from landweave.llm.queries import QUERIES, SQL
