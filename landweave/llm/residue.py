@@ -29,6 +29,16 @@ BLANKS = (r"\bX{2,4}(?:[/.-]X{2,4})+\b", r"\bXXX+\b", r"_{3,}", r"\.{6,}")
 SLOT = "(?:" + "|".join(BRACKETED + DEFAULTS + BLANKS) + ")"
 #: Words of a sentence that explains a template; they decide only where a wording occurs once and alignment is impossible.
 EXPLAINS = r"(?i)template|placeholder|marks the|marked by|stands for|variable|filled in|field name"
+#: As above where a variable name recurs with one wording, as explanations do.
+EXPLAINS_OFTEN = EXPLAINS + r"|\bdenotes\b|\bsyntax\b|\bmeans\b|replaced (?:by|with)|written as"
+_MARKS = r"(?i:sic|seal|stamp|signed|signature|illegible|unclear|torn|redacted|omitted)\W*[\]>]"
+#: Spellings of variable names that no ordinary text or editorial mark ([sic], [illegible]) has.
+NAMED = rf"^(?:\{{|\$\{{|<%|%\(|%[A-Za-z]|\[\[|<<|@@|##?[A-Za-z]|__[A-Za-z]|\(|[\[<](?!{_MARKS})(?:[^\]>]*_[^\]>]*|[A-Z][A-Z0-9 /.'-]{{2,}}|(?i:insert|enter|fill|add|your|applicant|owner)\b[^\]>]*)[\]>])"
+# Defaults and blanks that stand where a value belongs, so that no filled twin is needed: after a label or preposition,
+# not as ordinary words (null and void, none of the, undefined boundary), separator lines, dot leaders or masked digits.
+_LABEL = r"(?:[:=]|(?i:\b(?:no\.|number|dated|date|village|khasra|plot|sheet|tehsil|district|shri|smt\.?|name|to|of|on|in|by|for|at|from)))\s*"
+_AFTER = r"(?=\s*(?:[.,;:)!?।]|$)|\s+(?:(?!of none)of|in|on|at|to|for|by|from|was|is|has|were|corresponds)\b)"
+STANDING = rf"\b(?:TBD|TODO|NaN|NULL)\b|{_LABEL}(?:\bundefined\b|\bnull\b|\bNone\b(?! of)){_AFTER}|\w\W{{0,3}}(?:_{{3,}}|\.{{6,}}(?!\s*\d)|\b(?<!\d[ /.-])X{{2,4}}(?:[/.-]X{{2,4}})+\b(?![ /.-]?[\dX])|\b(?<!\d[ /.-])XXX+\b(?![ /.-]?[\dX]))"
 # Cues of error pages, script notices and filler. A cue alone decides nothing; see page_residue.
 CUES = (
     r"javascript", r"\bscripts?\b", r"\bscripting\b", r"\bbrowser\b", r"\b[45]\d\d\b\W{0,3}(?:not|bad|forbidden|internal|service|gateway|unauthori|too many|method|request|error)", r"\bhttp\b", r"\berrors? \d", r"\bdenied\b", r"\bpermission\b", r"\bsession\b", r"\blog ?in\b", r"\bsign in\b", r"went wrong", r"page you", r"\bnot found\b", r"located on this", r"\bunavailable\b", r"\bin time\b", r"too many", r"try again", r"\breload\b", r"traceback", r"[a-z]exception\b", r"[a-z]error\b", r"connection (?:failed|refused|reset|timed)", r"\bmaintenance\b", r"timed? ?out\b", r"\bgateway\b", r"\bserver\b", r"\bupstream\b", r"\bcookies\b", r"\bcaptcha\b", r"\boops\b", r"-gw/", r"no longer exists",
@@ -93,7 +103,8 @@ def slot_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
     All sentences are aligned by the words around a position. Where other texts hold ordinary values between the same
     words, or different variable names stand there, the position is a slot and what stands in it is residue. A name that
     is the only thing ever seen there belongs to the wording (an explanation, a marking such as [sic]) and is no case.
-    Wordings that occur in one text only are residue unless the sentence explains a template.
+    Wordings that occur in one text only are residue unless the sentence explains a template, and so is a variable name in
+    the spelling of a template that recurs without a filling, and a default or blank in the place of a value (STANDING).
     """
     segments = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("t")).filter("doc_key is not null and t is not null")
     segments = segments.select("doc_key", F.xxhash64("t").alias("fp"), F.explode(F.flatten(_segments(F.col("t")))).alias("s"))
@@ -103,7 +114,9 @@ def slot_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
     both, left = _contexts(F.col("w"), F.col("at"))
     word_like = F.get("found", F.col("nth")).rlike("^(?:" + "|".join(DEFAULTS) + ")$")
     blank = F.get("found", F.col("nth")).rlike("^(?:" + "|".join(BLANKS) + ")$")
-    marked = cut(marked.select("doc_key", "fp", both.alias("both"), left.alias("left"), (F.get("w", F.col("at") - 1).isNotNull()).alias("led"), F.xxhash64(F.get("found", F.col("nth"))).alias("name"), word_like.alias("word_like"), blank.alias("blank"), F.col("s").rlike(EXPLAINS).alias("explains")))
+    named = F.get("found", F.col("nth")).rlike(NAMED) & ~F.col("s").rlike(EXPLAINS_OFTEN)
+    standing = (word_like | blank) & F.col("s").rlike(STANDING) & ~F.col("s").rlike(EXPLAINS_OFTEN)
+    marked = cut(marked.select("doc_key", "fp", (named | standing).alias("alone"), both.alias("both"), left.alias("left"), (F.get("w", F.col("at") - 1).isNotNull()).alias("led"), F.xxhash64(F.get("found", F.col("nth"))).alias("name"), word_like.alias("word_like"), blank.alias("blank"), F.col("s").rlike(EXPLAINS).alias("explains")))
 
     asked = marked.select(F.explode(F.array("both", "left")).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
     asked = cut(asked.select("context"))
@@ -116,7 +129,7 @@ def slot_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
     judged = lookup_join(judged, names, ["left"])
     slot = (F.col("fill_both").isNotNull() & (F.col("led") | ~F.col("blank"))) | (~F.col("word_like") & F.col("led") & (F.col("fill_left").isNotNull() | (F.col("n_names") > 1)))
     lone = (F.col("n_texts") == 1) & ~F.col("explains") & ~F.col("word_like") & ~F.col("blank")
-    return judged.filter(slot | lone).select("doc_key").distinct()
+    return judged.filter(slot | lone | F.col("alone")).select("doc_key").distinct()
 
 
 def residue(docs: DataFrame, key: str, text: str) -> DataFrame:

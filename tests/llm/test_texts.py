@@ -41,6 +41,14 @@ def test_residue(spark):
     assert residue(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_recurring_slots_without_a_filling(spark):
+    bad = [(i, f"Order {i} of the year.\n\nOrder issued to {{{{applicant_name}}}} of the hamlet.") for i in range(20)]
+    bad += [(20 + i, f"Note {i} of the year.\n\n{s}") for i, s in enumerate(["The hearing is on TBD in the hall.", "Signed by holder: ________", "It was signed by undefined on the spot.", "Received by [OFFICER_NAME] today.", "Received by [OFFICER_NAME] today.", "Drawn on XX/XX/XXXX by hand."])]
+    good = [(50 + i, f"Note {i} of the year. {s}") for i in range(2) for s in ("The deed is null and void.", "None of the holders came.", "The undefined boundary was walked.", "The remark [sic] was kept.", "The seal [ILLEGIBLE] was kept.", "The card reads XXXX-XXXX-1234 in ink.", "Here {{khasra_no}} denotes the plot.")]
+    got = {r["doc_key"] for r in residue(spark.createDataFrame(bad + [(k * 10 + j, s) for j, (k, s) in enumerate(good)], "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {i for i, _ in bad}
+
+
 @pytest.mark.parametrize(("a", "b"), [("Chakapunagar", "चाकापुनगर"), ("HAAGOLOOPOOR", "Gram Hagolupur (Rural)"), ("Tahasupur Kalan", "ताहासुपुर कलां"), ("Mauza Boramogarh", "बोरामोगढ़"), ("Lelemogaon village", "लेलेमोगांव")])
 def test_village_forms(a, b):
     assert village_key(a) == village_key(b)
