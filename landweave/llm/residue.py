@@ -50,6 +50,8 @@ CUE = "(?i)(?:" + "|".join(CUES) + ")"
 STRONG = r"(?i)(?:enable (?:javascript|scripts)|javascript is (?:disabled|required|turned off)|javascript to (?:run|view)|script(?:s|ing) (?:is|are) required|needs? scripts|does not support scripts|^\W*[45]\d\d\W{1,3}(?:not found|bad gateway|forbidden|internal|service|gateway)|http status \d|^\W*error \d{3}|^\W*access denied|you do not have permission|session has expired|something went wrong|page you are looking for|could not be located on this server|temporarily unavailable|^\W*too many requests|try again later|traceback \(most|nullpointer|connection failed|maintenance in progress|no response from upstream|-gw/\d|जावास्क्रिप्ट सक्षम|पृष्ठ नहीं मिला|lorem ipsum|ipsum lorem|\blorem\b.*\bipsum\b|ipsa lorem|asdf asdf|placeholder content|placeholder text|sample text for|text text text|goes here\W*$|in this box\W*$|before publishing|blindtext|dummy paragraph|dummy text|केवल नमूना पाठ|\bxxx+ xxx+\b|\btest test\b)"
 #: Least share of a wording's occurrences that stand apart from ordinary text, and texts needed to tell.
 APART, ENOUGH = 0.6, 8
+#: Documents that consist of a wording as a whole page needed to tell: copies count, but a page seen once is not repeated.
+PAGES = 2
 _MARK = "\u0001"
 _DATE = r"(?i)\b\d{1,2} (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4}\b"
 
@@ -74,18 +76,24 @@ def page_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Sentences with a cue are grouped by their last five canonical words. Such a wording is residue when it is one of
     STRONG, or when, over at least ENOUGH distinct texts, most of its occurrences stand apart from ordinary text: as
-    whole pages or as paragraphs in which every sentence carries a cue. A wording that lives inside ordinary paragraphs is a report and no case.
+    whole pages or as paragraphs in which every sentence carries a cue; or when whole pages of cued sentences repeat it in
+    at least PAGES documents, copies word for word included, and most documents that have it are such pages. A wording that
+    lives inside ordinary paragraphs is a report and no case.
     """
     base = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("t")).filter(F.col("doc_key").isNotNull() & F.col("t").rlike(CUE))
-    rows = base.select("doc_key", F.xxhash64("t").alias("fp"), F.explode(_segments(F.col("t"))).alias("p"))
-    rows = rows.select("doc_key", "fp", F.size("p").alias("n"), F.filter("p", lambda s: s.rlike(CUE)).alias("hits")).filter("size(hits) > 0")
-    rows = rows.select("doc_key", "fp", (F.size("hits") == F.col("n")).alias("apart"), F.explode("hits").alias("s"))
+    rows = base.select("doc_key", F.xxhash64("t").alias("fp"), _segments(F.col("t")).alias("all"))
+    rows = rows.select("doc_key", "fp", F.forall(F.flatten("all"), lambda s: s.rlike(CUE)).alias("page"), F.explode("all").alias("p"))
+    rows = rows.select("doc_key", "fp", "page", F.size("p").alias("n"), F.filter("p", lambda s: s.rlike(CUE)).alias("hits")).filter("size(hits) > 0")
+    rows = rows.select("doc_key", "fp", "page", (F.size("hits") == F.col("n")).alias("apart"), F.explode("hits").alias("s"))
     tail = F.slice(F.concat(F.array_repeat(F.lit(""), 5), _tokens(F.col("s"))), -5, 5)
-    rows = cut(rows.select("doc_key", "fp", "apart", F.xxhash64(F.array_join(tail, " ")).alias("wording"), F.col("s").rlike(STRONG).alias("strong")))
+    rows = cut(rows.select("doc_key", "fp", "page", "apart", F.xxhash64(F.array_join(tail, " ")).alias("wording"), F.col("s").rlike(STRONG).alias("strong")))
     once = rows.groupBy("wording", "fp").agg(F.max("apart").alias("apart"))
     shares = once.groupBy("wording").agg(F.count(F.lit(1)).alias("n_texts"), F.avg(F.col("apart").cast("double")).alias("share"))
-    judged = lookup_join(rows, shares, ["wording"], "inner")
-    return judged.filter(F.col("strong") | ((F.col("n_texts") >= ENOUGH) & (F.col("share") >= APART))).select("doc_key").distinct()
+    copies = rows.groupBy("wording", "doc_key").agg(F.max("page").alias("page"))
+    copies = copies.groupBy("wording").agg(F.count_if("page").alias("n_pages"), F.avg(F.col("page").cast("double")).alias("page_share"))
+    judged = lookup_join(rows, shares.join(copies, "wording"), ["wording"], "inner")
+    repeated = (F.col("n_pages") >= PAGES) & (F.col("page_share") >= APART)
+    return judged.filter(F.col("strong") | ((F.col("n_texts") >= ENOUGH) & (F.col("share") >= APART)) | repeated).select("doc_key").distinct()
 
 
 def _contexts(tokens: Column, i: Column) -> tuple[Column, Column]:

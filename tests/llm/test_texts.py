@@ -41,6 +41,16 @@ def test_residue(spark):
     assert residue(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_repeated_pages(spark):
+    page = "Invalid captcha. Please reload."
+    reports = [(i, f"Note {i}. The captcha was shown to the holders, who then left. Please reload.") for i in range(3)]
+    plain = [(10 + i, "Both sources have one village.") for i in range(3)]
+    rows = reports + plain + [(20, page), (21, page), (30, "The gateway sign fell.")]
+    got = {r["doc_key"] for r in residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert {20, 21} <= got
+    assert not {0, 1, 2, 10, 11, 12, 30} & got
+
+
 def test_recurring_slots_without_a_filling(spark):
     bad = [(i, f"Order {i} of the year.\n\nOrder issued to {{{{applicant_name}}}} of the hamlet.") for i in range(20)]
     bad += [(20 + i, f"Note {i} of the year.\n\n{s}") for i, s in enumerate(["The hearing is on TBD in the hall.", "Signed by holder: ________", "It was signed by undefined on the spot.", "Received by [OFFICER_NAME] today.", "Received by [OFFICER_NAME] today.", "Drawn on XX/XX/XXXX by hand."])]
