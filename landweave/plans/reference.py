@@ -203,6 +203,12 @@ def ulpin_lists(spark: SparkSession, sf: str) -> DataFrame:
     return parcels(spark, sf).groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set(u)), ";").alias("ulpins"))
 
 
+@query(f"{WITH} SELECT source_id, string_agg(DISTINCT trim(lower(ulpin)), ';' ORDER BY trim(lower(ulpin))) AS ulpins FROM parcels GROUP BY 1")
+def ulpin_lists_whole(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.trim(F.lower("ulpin"))
+    return parcels(spark, sf).groupBy("source_id").agg(F.when(F.count("ulpin") > 0, F.array_join(F.array_sort(F.collect_set(u)), ";")).alias("ulpins"))
+
+
 @query(f"{WITH} SELECT (SELECT count(*) FROM parcels p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT source_id FROM parcels WHERE source_id = 'revenue') s WHERE s.source_id = p.source_id))::BIGINT AS missing")
 def requested_sources_check(spark: SparkSession, sf: str) -> DataFrame:
     p = parcels(spark, sf)
@@ -312,16 +318,26 @@ def topology_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return compare.topology_conflicts(topology.topology_issues(_shapes(spark), with_gaps=False)).groupBy("issue_type", "conflict_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o.o_orderkey AS block, 100.0::DOUBLE AS area, 'e;n;s;w' AS ids FROM (SELECT * FROM orders WHERE o_orderkey <= 20) o")
-def gap_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Four walls around a gap, one set of walls per small order."""
-    o = table(spark, sf, "orders").filter("o_orderkey <= 20").select((F.col("o_orderkey") * 100).alias("x"), "o_orderkey")
+def _walled_gaps(orders: DataFrame) -> DataFrame:
+    o = orders.select((F.col("o_orderkey") * 100).alias("x"), "o_orderkey")
     walls = [("n", 0, 20, 30, 30), ("s", 0, 0, 30, 10), ("w", 0, 10, 10, 20), ("e", 20, 10, 30, 20)]
     shapes = o.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (F.col("x") + a).alias("minx"), F.lit(b).alias("miny"), (F.col("x") + c).alias("maxx"), F.lit(d).alias("maxy")) for n, a, b, c, d in walls])).alias("w")).select("o_orderkey", "w.*")
     g = topology.gaps(shapes.select(F.concat_ws("-", "o_orderkey", "n").alias("feature_id"), _wkt().alias("geometry")))
     return g.select(F.substring_index(F.col("feature_ids")[0], "-", 1).cast("long").alias("block"), "area", F.array_join(F.transform("feature_ids", lambda x: F.substring_index(x, "-", -1)), ";").alias("ids"))
 
 
+@query("SELECT o.o_orderkey AS block, 100.0::DOUBLE AS area, 'e;n;s;w' AS ids FROM (SELECT * FROM orders WHERE o_orderkey <= 20) o")
+def gap_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Four walls around a gap, one set of walls per small order."""
+    return _walled_gaps(table(spark, sf, "orders").filter("o_orderkey <= 20"))
+
+
+@query("SELECT o_orderkey AS block, 100.0::DOUBLE AS area, 'e;n;s;w' AS ids FROM orders")
+def gap_cells_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Four walls around a gap, one set of walls per order."""
+    return _walled_gaps(table(spark, sf, "orders"))
+
+
 @query()
 def boundary_sample_64(spark: SparkSession, sf: str) -> DataFrame:
     from landweave.operators.imaging import boundary_samples
@@ -554,9 +570,10 @@ def segmentation_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mask_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines of the masks of eight tiles for every 4001 order keys."""
     from landweave.operators.imaging import mask_outlines
 
-    m = table(spark, sf, "lineitem").filter("l_orderkey <= 4000").select((F.col("l_orderkey") % 8).alias("tile_id"), (F.col("l_orderkey") / 8 % 32).cast("int").alias("row"), (F.col("l_partkey") % 32).cast("int").alias("col"), F.col("l_discount").alias("prob")).groupBy("tile_id", "row", "col").agg(F.max("prob").alias("prob"))
+    m = table(spark, sf, "lineitem").select((F.floor(F.col("l_orderkey") / 4001) * 8 + F.col("l_orderkey") % 8).alias("tile_id"), (F.col("l_orderkey") / 8 % 32).cast("int").alias("row"), (F.col("l_partkey") % 32).cast("int").alias("col"), F.col("l_discount").alias("prob")).groupBy("tile_id", "row", "col").agg(F.max("prob").alias("prob"))
     return mask_outlines(m, 0.05, 1).select("tile_id", "polygon_ix", r6(F.col("area")).alias("area"), "space")
 
 

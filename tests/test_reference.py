@@ -175,6 +175,15 @@ def _norm(v):
     return v.replace(tzinfo=None).isoformat() if isinstance(v, datetime.datetime) else str(v)
 
 
+def test_queries_over_whole_tables(spark, tmp_path):
+    lines = [(4001, 1, 0.06), (4001, 2, 0.06), (1, 5, 0.06)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["tile_id"], r["area"]) for r in reference.mask_polygons(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1.0), (9, 2.0)}
+    spark.createDataFrame([(7,), (21,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {(r["block"], r["area"], r["ids"]) for r in reference.gap_cells_whole(spark, str(tmp_path)).collect()} == {(7, 100.0, "e;n;s;w"), (21, 100.0, "e;n;s;w")}
+
+
 @pytest.mark.parametrize("name", sorted(reference.SQL))
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_against_duckdb(spark, name):
