@@ -1,54 +1,18 @@
-"""Pairwise matches into groups: minimum labels along edges, pointer jumping, checkpoint per round."""
+"""Pairwise matches into groups: minimum labels along edges, pointer jumping, a written table per round."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.session import cut, lookup_join
-
-
-def _jump(parents: DataFrame) -> DataFrame:
-    """Replace every parent by its parent until all point at a root; the distance to the root halves each time."""
-    while True:
-        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        jumped = cut(lookup_join(parents, up, ["parent"]).select("id", F.coalesce("grand", "parent").alias("new"), "parent", "deg"))
-        moved = jumped.filter("new <> parent").limit(1).count()
-        parents = jumped.select("id", F.col("new").alias("parent"), "deg")
-        if not moved:
-            return parents
+from landweave.operators.components import least_labels
 
 
 def consolidate(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(member_id, group_id): every id on an edge with the smallest id connected to it (code-point order).
 
-    Each round every id takes the least id among itself and its neighbours, pointer jumping carries that to the
-    root of its tree, and the edges are contracted to the roots; a round at least halves the ids that still have an
-    edge, and rounds end when no edge between different roots is left. Edges with a null end are passed over;
-    repeated, reversed and self edges change nothing beyond putting their ids in the result; no edges, no rows.
+    Edges with a null end are passed over; repeated, reversed and self edges change nothing beyond putting their ids in
+    the result; no edges, no rows; further columns are ignored. Rounds and their bounds: see ``least_labels``.
     """
-    both = edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v")).filter("u is not null and v is not null")
-    live = cut(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    alone = live.filter("u = v").select(F.col("u").alias("id")).distinct()
-    live = live.filter("u <> v")
-    levels: list[DataFrame] = []
-    while live.limit(1).count():
-        ways = live.select("u", "v").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parents = cut(ways.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).select("id", F.least("id", "m").alias("parent"), "deg"))
-        parents = _jump(parents)
-        levels.append(parents.select("id", "parent"))
-        root = lookup_join(live, parents.select(F.col("id").alias("u"), F.col("parent").alias("ru"), "deg"), ["u"], counts="deg")
-        root = lookup_join(root, parents.select(F.col("id").alias("v"), F.col("parent").alias("rv"), "deg"), ["v"], counts="deg")
-        live = cut(root.filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
-    if not levels:
-        return alone.select(F.col("id").alias("member_id"), F.col("id").alias("group_id"))
-
-    def compose(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        last = later.select(F.col("id").alias("parent"), F.col("parent").alias("last"))
-        return lookup_join(earlier, last, ["parent"]).select("id", F.coalesce("last", "parent").alias("parent"))
-
-    groups = reduce(compose, reversed(levels))
-    rest = alone.join(levels[0].select("id"), "id", "left_anti")
-    return groups.unionByName(rest.select("id", F.col("id").alias("parent"))).select(F.col("id").alias("member_id"), F.col("parent").alias("group_id"))
+    ends = edges.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v"))
+    return least_labels(ends, "u", "v").select(F.col("id").alias("member_id"), F.col("label").alias("group_id"))
