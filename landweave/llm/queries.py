@@ -15,10 +15,10 @@ from landweave.llm.residue import residue
 from landweave.llm.survivor import Field, survivor_votes, survivors, usable_area, usable_parcel_type, usable_ulpin
 from landweave.operators.timestamps import normalise_timestamps
 from landweave.operators.units import normalise_areas
-from landweave.session import maybe_broadcast, spread
+from landweave.session import cut, maybe_broadcast, spread
 
 #: Folder of public tokenizer files and the file used; parameters, never copied into the repository.
-TOKENIZER = os.environ.get("LANDWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("LANDWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CAPACITY = 2048
 
 
@@ -64,13 +64,26 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(rows, "parcel_id", "row_id", "trust", "instant_micros", fields).withColumnRenamed("group_id", "parcel_id")
 
 
+def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", TOKENIZER).select("doc_id", "n_tokens")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container of every document, or piece of a document beyond the capacity, in tokens of a public tokenizer."""
-    sized = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", TOKENIZER).select("doc_id", "n_tokens")
-    packed = pack(sized, "doc_id", "n_tokens", CAPACITY)
+    packed = pack(_document_tokens(spark, sf_dir), "doc_id", "n_tokens", CAPACITY)
     return packed.select(F.col("item_key").cast("long").alias("doc_id"), "piece_no", "token_start", "token_end", "pack_group", "container")
 
 
+def p8_pack_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing (sizes in characters here, so that SQL can say it): each item is placed once and whole, in the least number of pieces, and no container is above its capacity."""
+    documents = table(spark, sf_dir, "documents")
+    packed = cut(pack(documents, "doc_id", "n_chars", CAPACITY))
+    held = packed.groupBy("pack_group", "container").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("held"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("token_end") - F.col("token_start")).alias("largest"))
+    over = held.agg(F.count_if(F.col("held") > CAPACITY), F.count_if((F.col("largest") == CAPACITY) & (F.col("held") > CAPACITY))).first()
+    items = packed.groupBy("item_key").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(F.col("token_end") - F.col("token_start")).alias("placed"), F.max("token_end").alias("reach"))
+    return items.select(F.col("item_key").cast("long").alias("doc_id"), "n_pieces", "placed", "reach", F.lit(over[0]).alias("containers_over"), F.lit(over[1]).alias("full_containers_shared"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain twelve consecutive words of an evaluation passage, with the item."""
     found = leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
@@ -88,9 +101,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select(F.col("doc_key").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack, "p8_pack_chars": p8_pack_chars}
 
 SQL = {
+    "p8_pack_chars": f"SELECT doc_id, greatest(1, ceil(n_chars / {CAPACITY}.0))::BIGINT AS n_pieces, n_chars::BIGINT AS placed, n_chars::BIGINT AS reach, 0::BIGINT AS containers_over, 0::BIGINT AS full_containers_shared FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL",
     "p9_found": """
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
   v AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),

@@ -45,12 +45,13 @@ def test_first_fit_decreasing(sizes):
 
 
 def test_pack(spark):
-    rows = [("a", 7), ("b", 25), ("c", 0), ("d", 10), ("e", 3), ("f", None), (None, 5)]
+    rows = [("a", 7), ("b", 25), ("c", 0), ("d", 10), ("e", 3), ("f", None), (None, 5), ("g", 31), ("h", 12), ("h", 12), ("h", 4)]
     out = pack(spark.createDataFrame(rows, "k string, n long"), "k", "n", 10).collect()
-    assert {(r["item_key"], r["piece_no"], r["token_start"], r["token_end"]) for r in out} == {("a", 0, 0, 7), ("b", 0, 0, 10), ("b", 1, 10, 20), ("b", 2, 20, 25), ("c", 0, 0, 0), ("d", 0, 0, 10), ("e", 0, 0, 3)}
+    assert sum(r["token_end"] - r["token_start"] for r in out if r["item_key"] == "h") == 28
+    assert {(r["item_key"], r["piece_no"], r["token_start"], r["token_end"]) for r in out if r["item_key"] not in "gh"} == {("a", 0, 0, 7), ("b", 0, 0, 10), ("b", 1, 10, 20), ("b", 2, 20, 25), ("c", 0, 0, 0), ("d", 0, 0, 10), ("e", 0, 0, 3)}
     load = {}
     for r in out:
-        key = (r["pack_group"], r["container"], r["item_key"] if r["container"] < 0 else "")
+        key = (r["pack_group"], r["container"])
         load[key] = load.get(key, 0) + r["token_end"] - r["token_start"]
     assert max(load.values()) <= 10
     assert pack(spark.createDataFrame([], "k string, n long"), "k", "n", 10).count() == 0
