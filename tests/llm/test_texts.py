@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from landweave.llm.leakage import leaked_items, reparameterised_items, words_of
+from landweave.llm.leakage import LEAST_LITERAL, WINDOW, kind, leaked_items, names_in, reparameterised_items, words_of
 from landweave.llm.matching import centre, match_records, plot_key, plot_signature, village_key
 from landweave.llm.residue import residue
 
@@ -20,6 +20,40 @@ def test_leaks(spark):
     assert leaked_items(frame.limit(0), "doc_id", "text", items, "item_id", "passage").count() == 0
 
 
+def brute_windows(docs, items):
+    """Pairs of texts and positions whose windows have one template, by comparing every window with every other."""
+    def windows(text):
+        words, named = names_in(text)
+        first = ["<name>" if n else kind(w) or w for w, n in zip(words, named)]
+        typed = ["<unit>" if i and first[i - 1] == "<number>" and t != "<number>" else t for i, t in enumerate(first)]
+        out = []
+        for p in range(len(words) - WINDOW + 1):
+            template = (first[p], *typed[p + 1 : p + WINDOW])
+            few = sum(t[0] == "<" for t in typed[p : p + WINDOW]) > WINDOW - LEAST_LITERAL
+            out.append((p, tuple(words[p : p + WINDOW]), None if few else template))
+        return out
+
+    found = {}
+    for d, text in docs:
+        for i, other in items:
+            for p, a, t in windows(text):
+                for q, b, u in windows(other):
+                    if a == b or (t is not None and t == u):
+                        found.setdefault((str(d), str(i)), []).append((p, q, a, b))
+    return {k: (len(v), sum(a == b for _, _, a, b in v), all(len({x for _, _, a, b in v for x, y in zip(a, b) if y == w}) == 1 for w in {y for _, _, _, b in v for y in b})) for k, v in found.items()}
+
+
+@pytest.mark.parametrize("most", [12, 27])
+def test_reparameterised_against_brute_force(spark, most):
+    """A filter of 64 words lets nearly everything through; the rows stay the same."""
+    docs = [(1, "As told, " + ITEM), (2, ITEM.replace("78", "12").replace("85", "13").replace("Hagolupur", "Rokagarh")), (3, ITEM.replace("rods", "guntas")), (4, ITEM.replace("78", "12").replace("85", "12")), (5, ITEM.upper()), (6, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (7, "2 1 3 4 5 6 7 8 9 10 11 12 13 14"), (8, " ".join(f"word{i}" for i in range(3000)))]
+    items = [(9, ITEM), (10, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (11, "short")]
+    frame, questions = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r["doc_key"], r["item_key"]): (r["n_windows"], r["n_same"], r["consistent"]) for r in reparameterised_items(frame, "doc_id", "text", questions, "item_id", "passage", most).collect()}
+    assert got == brute_windows(docs, items)
+    assert ("7", "10") in got and ("3", "9") in got and got["2", "9"][2]
+
+
 def _documents():
     filler = [(100 + i, f"The old number {i}/2 corresponds to {i}/5 after consolidation. The plot shown on sheet {i}A was removed years ago.") for i in range(12)]
     told = [(200 + i, f"The office template marks the plot number with {{{{khasra_no}}}}; in the letters sent for village {i} it had been filled in. The old number {i}/7 corresponds to {i}/1 after consolidation.") for i in range(12)]
