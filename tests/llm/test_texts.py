@@ -1,3 +1,5 @@
+from itertools import permutations
+
 import duckdb
 import pytest
 
@@ -77,9 +79,11 @@ def test_residue(spark):
 
 def test_repeated_pages(spark):
     page = "Invalid captcha. Please reload."
-    reports = [(i, f"Note {i}. The captcha was shown to the holders, who then left. Please reload.") for i in range(3)]
+    reports = [(i, f"Note {i}. The captcha was shown to the holders, who then left. Please reload. No mark was found.") for i in range(3)]
     plain = [(10 + i, "Both sources have one village.") for i in range(3)]
-    rows = reports + plain + [(20, page), (21, page), (30, "The gateway sign fell.")]
+    sentences = ["Both sources have one village.", "The gateway sign fell.", "The bund was walked.", "No mark was found.", "The tie line was measured.", "The holders were heard."]
+    running = [(40 + i, " ".join(three)) for i, three in enumerate(list(permutations(sentences, 3))[::4])]
+    rows = reports + plain + running + [(20, page), (21, page), (30, "The gateway sign fell.")]
     got = {r["doc_key"] for r in residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert {20, 21} <= got
     assert not {0, 1, 2, 10, 11, 12, 30} & got
