@@ -88,8 +88,19 @@ _LOG = "feed_id long, file_no int, seq int, change_kind string, field_name strin
 def _fold_feed(key: tuple, schemas: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
     """Walk the files of one feed in order; input and output are bounded by files times fields, not by rows."""
     renames: dict[int, list[tuple[float, str, str]]] = {}
+    partners: dict[int, tuple[set[str], set[str]]] = {}
+    for file_no, old, new in zip(evidence["file_no"], evidence["old_name"], evidence["new_name"], strict=True):
+        before, after = partners.setdefault(int(file_no), (set(), set()))
+        before.add(old)
+        after.add(new)
+
+    def only_pair(file_no: int, old: str, new: str) -> bool:
+        return partners[file_no] == ({old}, {new})
+
     for file_no, old, new, same, chance in zip(evidence["file_no"], evidence["old_name"], evidence["new_name"], evidence["same"], evidence["chance"], strict=True):
         beyond = (same - chance) / (1 - chance) if chance < 1 else 0.0
+        if chance >= 1 and same >= 1 and only_pair(int(file_no), old, new):
+            beyond = 1.0  # one value throughout tells nothing, but no other key is left for it
         if same >= SAME_CONTENT and beyond >= BEYOND_CHANCE:
             renames.setdefault(int(file_no), []).append((float(same), old, new))
     columns = [f"n_{t}" for t in TYPES]
@@ -151,7 +162,7 @@ def fold_schemas(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     in the lattice; an empty table gives an empty log.
     """
     rows = raw.filter("feed_id is not null and file_no is not null")
-    found = cells(rows)
+    found = cut(cells(rows))  # every value is read from its JSON text once
     schemas = cut(file_schemas(found))
     every = rows.select(F.col("feed_id"), F.col("file_no")).distinct()
     files = cut(every.selectExpr("feed_id", "file_no", "lag(file_no) over (partition by feed_id order by file_no) as prev_no"))
@@ -167,17 +178,20 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
 
 def unified_table(raw: DataFrame) -> DataFrame:
-    """All rows in one consistent long table: (raw_id, feed_id, file_no, feed_record, field_name, type, value).
+    """All rows in one consistent long table: (raw_id, feed_id, file_no, feed_record, field_name, type, number, truth, value).
 
-    ``field_name`` is the latest name the field goes by in its feed and ``type`` the lattice's type for all its files;
-    values are cast to it (a boolean spelling in a text field stays as written, lists and objects beside other
-    types are their content as text). Null values stay as rows with a null value.
+    ``field_name`` is the latest name the field goes by in its feed and ``type`` the lattice's type for all its files.
+    Every value is cast to that type: ``number`` (double) and ``truth`` (boolean) hold the values of such fields, ``value``
+    the text of every field in the spelling of its type (numbers as 12.5, booleans as true and false, lists and objects
+    beside other types as their content). What cannot be cast is null, and null values stay as rows.
     """
     found, folded = fold_schemas(raw)
     names = folded.filter("change_kind = 'field'").select("feed_id", "file_no", "field_name", F.col("new_name").alias("latest"), "union_type")
     joined = lookup_join(found, names, ["feed_id", "file_no", "field_name"], "inner")
-    value = F.when(F.col("union_type") == "number", F.col("text").try_cast("double").cast("string")).otherwise(F.col("text"))
-    return joined.select("raw_id", "feed_id", "file_no", "feed_record", F.col("latest").alias("field_name"), F.col("union_type").alias("type"), value.alias("value"))
+    number = F.when(F.col("union_type") == "number", F.col("text").try_cast("double"))
+    truth = F.when(F.col("union_type") == "boolean", F.col("text").try_cast("boolean"))
+    value = F.when(F.col("union_type") == "number", number.cast("string")).when(F.col("union_type") == "boolean", truth.cast("string")).otherwise(F.col("text"))
+    return joined.select("raw_id", "feed_id", "file_no", "feed_record", F.col("latest").alias("field_name"), F.col("union_type").alias("type"), number.alias("number"), truth.alias("truth"), value.alias("value"))
 
 
 def footer_schemas(spark: SparkSession, paths: list[str]) -> DataFrame:

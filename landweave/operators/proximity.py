@@ -2,8 +2,9 @@
 
 Near: locations become three-dimensional unit vectors; k-d splits (fitted on a bounded sample) part them into
 leaves, each with halo copies of the locations within the radius outside it; a k-d tree inside each leaf is
-queried by chord radius, and the distance on the ellipsoid decides. Regions: a plane sweep over polygon edges in the
-regions' own coordinate system.
+queried by chord radius, and the distance on the ellipsoid decides. Regions: the plane of each coordinate system is
+parted into upright strips of about equally many points; edges go to every strip they touch, and a sweep along x
+inside each strip counts the edges below every point.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.crs import earth_centred, epsg_code, from_lonlat, unit_vector, with_lonlat
-from landweave.session import cut
+from landweave.session import counted, cut
 
-#: Locations sampled to place the k-d splits; every location is then indexed.
-SPLIT_SAMPLE = 50_000
+#: Locations sampled to place the k-d splits: at least, for each leaf, and at most; every location is then indexed.
+SPLIT_SAMPLE, SAMPLE_A_LEAF, MOST_SAMPLE = 50_000, 16, 2_000_000
 #: Locations a leaf should hold.
 LEAF_ROWS = 20_000
-#: Edges swept at once; more edges are swept in further blocks over the same points.
-EDGE_BLOCK = 20_000
+#: Points a strip should hold; a strip with more (many points of one x) is split over several tasks with the same edges.
+STRIP_POINTS = 20_000
+#: Points compared at once with the edges above and below them.
+SWEEP_POINTS = 256
 #: Least radius of curvature of the ellipsoid: bounds the chord between unit normals a distance apart.
 LEAST_RADIUS = 6_335_439.0
 _BUCKET = 48
@@ -151,7 +154,8 @@ def near_pairs(points: DataFrame, key: str, lon: str, lat: str, metres: float) -
     count = spots.count()
     rows = min(LEAF_ROWS, max(1000, count // (4 * spark.sparkContext.defaultParallelism)))
     depth = max(0, int(np.ceil(np.log2(max(1, count) / rows))))
-    sample = spots.select("lon", "lat").sample(min(1.0, 1.5 * SPLIT_SAMPLE / max(1, count)), seed=7).limit(SPLIT_SAMPLE).toPandas()
+    wanted = min(MOST_SAMPLE, max(SPLIT_SAMPLE, SAMPLE_A_LEAF * 2**depth))
+    sample = spots.select("lon", "lat").sample(min(1.0, wanted / max(1, count)), seed=7).toPandas()
     splits = KdSplits(unit_vector(sample["lon"].to_numpy(float), sample["lat"].to_numpy(float)).reshape(-1, 3), depth)
     radius = metres / LEAST_RADIUS * (1 + 1e-9)
 
@@ -211,75 +215,47 @@ def polygon_rings(geometry: str | None) -> list[np.ndarray] | None:
     return [r for r in rings if len(r) >= 4] or None
 
 
-class EdgeSweep:
-    """Edges of many regions swept along x: between two neighbouring end points the crossing edges are fixed."""
-
-    def __init__(self, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, region: np.ndarray):
-        keep = x1 != x2
-        x1, y1, x2, y2, region = (v[keep] for v in (x1, y1, x2, y2, region))
-        swap = x1 > x2
-        self.x1, self.x2, self.y1, self.y2 = np.where(swap, x2, x1), np.where(swap, x1, x2), np.where(swap, y2, y1), np.where(swap, y1, y2)
-        self.region = region
-        self.xs = np.unique(np.r_[x1, x2])
-        first, last = np.searchsorted(self.xs, self.x1), np.searchsorted(self.xs, self.x2)
-        spans = last - first
-        slab = np.repeat(first, spans) + (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans))
-        edge = np.repeat(np.arange(len(first)), spans)
-        order = np.argsort(slab, kind="stable")
-        self.edges = edge[order]
-        self.starts = np.searchsorted(slab[order], np.arange(len(self.xs) + 1))
-
-    def containing(self, x: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(index of point, region) for every region that holds the point (even-odd, so not in a hole)."""
-        slab = np.searchsorted(self.xs, x, side="right") - 1
-        inside = np.nonzero((slab >= 0) & (slab < len(self.xs) - 1) & np.isfinite(y))[0]
-        counts = (self.starts[slab[inside] + 1] - self.starts[slab[inside]]) if len(inside) else np.zeros(0, dtype=int)
-        begin = 0
-        total = np.cumsum(counts)
-        while begin < len(inside):
-            done = total[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(total, done + most, side="right")))
-            idx, n = inside[begin:end], counts[begin:end]
-            begin = end
-            point = np.repeat(idx, n)
-            edge = self.edges[np.repeat(self.starts[slab[idx]], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
-            level = self.y1[edge] + (x[point] - self.x1[edge]) * (self.y2[edge] - self.y1[edge]) / (self.x2[edge] - self.x1[edge])
-            below = level < y[point]
-            pairs, crossings = np.unique(np.stack([point[below], self.region[edge[below]]]), axis=1, return_counts=True)
-            odd = crossings % 2 == 1
-            if odd.any():
-                yield pairs[0, odd], pairs[1, odd]
-
-
-def region_blocks(regions: DataFrame, key: str, geometry: str, crs: str) -> Iterator[tuple[list[str], dict[int, EdgeSweep]]]:
-    """Regions read in blocks of at most EDGE_BLOCK edges, so each block sent to the workers has a fixed bound."""
-    rows = regions.select(F.col(key).cast("string"), F.col(geometry), F.when(F.col(crs).isNull() | (F.trim(F.col(crs)) == ""), 4326).otherwise(epsg_code(F.col(crs)))).toLocalIterator()
-    keys: list[str] = []
-    parts: dict[int, list[tuple[int, np.ndarray]]] = {}
-    edges = 0
-
-    def sweeps() -> dict[int, EdgeSweep]:
-        out = {}
-        for code, rings in parts.items():
-            ends = [(r[:-1], r[1:], np.full(len(r) - 1, i)) for i, r in rings]
-            a, b, region = (np.concatenate(v) for v in zip(*ends, strict=True))
-            out[code] = EdgeSweep(a[:, 0], a[:, 1], b[:, 0], b[:, 1], region)
-        return out
-
-    for name, text, code in rows:
-        rings = polygon_rings(text)
-        if name is None or rings is None or code is None:
+def region_edges(regions: DataFrame, key: str, geometry: str, crs: str) -> DataFrame:
+    """(code, region, x1, y1, x2, y2): edges of all readable regions that are not upright, from left to right, in the regions' own systems."""
+    schema = "code int, region string, x1 double, y1 double, x2 double, y2 double"
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text, code in zip(pdf["k"], pdf["g"], pdf["code"], strict=True):
+                for ring in polygon_rings(text) or ():
+                    ring = ring if (ring[0] == ring[-1]).all() else np.r_[ring, ring[:1]]
+                    a, b = ring[:-1], ring[1:]
+                    swap = (a[:, 0] > b[:, 0])[:, None]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    keep = (a[:, 0] < b[:, 0]) & np.isfinite(a).all(1) & np.isfinite(b).all(1)
+                    if keep.any():
+                        yield pd.DataFrame({"code": int(code), "region": name, "x1": a[keep, 0], "y1": a[keep, 1], "x2": b[keep, 0], "y2": b[keep, 1]})
+
+    known = F.when(F.col(crs).isNull() | (F.trim(F.col(crs)) == ""), 4326).otherwise(epsg_code(F.col(crs)))
+    read = regions.select(F.col(key).cast("string").alias("k"), F.col(geometry).alias("g"), known.cast("int").alias("code")).filter("k is not null and g is not null and code is not null")
+    return read.mapInPandas(edges, schema)
+
+
+def points_in_regions(x: np.ndarray, y: np.ndarray, edges: dict[str, np.ndarray], names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of point, region) for every region that holds the point: an odd number of its edges lies below it (so not in a hole).
+
+    ``edges`` are sorted by region (numbered as in ``names``); points are taken in order of x, so few edges meet each block.
+    """
+    order = np.argsort(x, kind="stable")
+    for begin in range(0, len(order), SWEEP_POINTS):
+        at = order[begin : begin + SWEEP_POINTS]
+        px, py = x[at], y[at]
+        met = np.nonzero((edges["x1"] <= px[-1]) & (edges["x2"] > px[0]))[0]
+        if not len(met):
             continue
-        rings = [r if (r[0] == r[-1]).all() else np.r_[r, r[:1]] for r in rings]
-        size = sum(len(r) - 1 for r in rings)
-        if edges and edges + size > EDGE_BLOCK:
-            yield keys, sweeps()
-            keys, parts, edges = [], {}, 0
-        parts.setdefault(code, []).extend((len(keys), r) for r in rings)
-        keys.append(name)
-        edges += size
-    if keys:
-        yield keys, sweeps()
+        x1, y1, x2, y2, region = (edges[c][met] for c in ("x1", "y1", "x2", "y2", "region"))
+        over = (x1 <= px[:, None]) & (px[:, None] < x2)
+        below = over & (y1 + (px[:, None] - x1) * (y2 - y1) / (x2 - x1) < py[:, None])
+        starts = np.r_[0, np.nonzero(np.diff(region))[0] + 1]
+        odd = np.add.reduceat(below.astype(np.int32), starts, axis=1) % 2 == 1
+        p, r = np.nonzero(odd)
+        if len(p):
+            yield at[p], names[region[starts[r]]]
 
 
 def regions_containing(points: DataFrame, key: str, lon: str, lat: str, regions: DataFrame, region_key: str, geometry: str, crs: str) -> DataFrame:
@@ -287,23 +263,76 @@ def regions_containing(points: DataFrame, key: str, lon: str, lat: str, regions:
 
     Edges are straight in the region's own system, into which the points are projected. Regions that are
     unreadable, empty, of unknown system or without key contain nothing; points without key or position are left out.
+    The driver sees the systems that occur, their extent, and the borders of the strips, no region and no point.
     """
-    out = None
+    spark = points.sparkSession
     base = points.select(F.col(key).cast("string").alias("k"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat")).filter("k is not null and lon is not null and lat is not null")
-    for keys, sweeps in region_blocks(regions, region_key, geometry, crs):
-
-        def test(batches: Iterator[pd.DataFrame], keys: list[str] = keys, sweeps: dict[int, EdgeSweep] = sweeps) -> Iterator[pd.DataFrame]:
-            names = np.array(keys, dtype=object)
-            for pdf in batches:
-                k, x, y = pdf["k"].to_numpy(), pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
-                for code, sweep in sweeps.items():
-                    with np.errstate(all="ignore"):
-                        px, py = from_lonlat(x, y, code)
-                    for i, r in sweep.containing(px, py):
-                        yield pd.DataFrame({"point_key": k[i], "region_key": names[r]})
-
-        found = base.mapInPandas(test, "point_key string, region_key string")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return base.select(F.col("k").alias("point_key"), F.lit(None).cast("string").alias("region_key")).limit(0)
-    return out.distinct()
+    edges = cut(region_edges(regions, region_key, geometry, crs))
+    systems = {int(r["code"]): (r["low"], r["high"]) for r in edges.groupBy("code").agg(F.min("x1").alias("low"), F.max("x2").alias("high")).collect()}  # a row per coordinate system
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            k, x, y = pdf["k"].to_numpy(), pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float)
+            for code, (low, high) in systems.items():
+                with np.errstate(all="ignore"):
+                    px, py = from_lonlat(x, y, code)
+                ok = np.isfinite(px) & np.isfinite(py) & (px >= low) & (px < high)
+                if ok.any():
+                    yield pd.DataFrame({"code": code, "k": k[ok], "x": px[ok], "y": py[ok]})
+
+    placed = cut(base.mapInPandas(project, "code int, k string, x double, y double"))
+    count = counted(placed)
+    strips = int(min(10_000, max(1, -(-count // STRIP_POINTS), min(4 * spark.sparkContext.defaultParallelism, count // 1000))))
+    shares = [i / strips for i in range(1, strips)]
+    borders = {int(r["code"]): np.unique(np.array(r["b"] or [], dtype=float)) for r in placed.groupBy("code").agg((F.percentile_approx("x", shares, 10_000) if shares else F.lit(None).cast("array<double>")).alias("b")).collect()}
+
+    def strip_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            strip = np.zeros(len(pdf), dtype=np.int64)
+            for code, b in borders.items():
+                here = (pdf["code"] == code).to_numpy()
+                strip[here] = np.searchsorted(b, pdf["x"].to_numpy()[here], side="right")
+            yield pdf.assign(strip=strip)
+
+    def strips_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for code, b in borders.items():
+                own = pdf[pdf["code"] == code]
+                first = np.searchsorted(b, own["x1"].to_numpy(), side="right")
+                many = np.searchsorted(b, own["x2"].to_numpy(), side="right") - first + 1
+                out = own.iloc[np.repeat(np.arange(len(own)), many)]
+                yield out.assign(strip=np.repeat(first, many) + np.arange(len(out)) - np.repeat(np.cumsum(many) - many, many))
+
+    located = placed.mapInPandas(strip_of, "code int, k string, x double, y double, strip long")
+    parts = located.groupBy("code", "strip").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (2 * STRIP_POINTS))).cast("int").alias("parts"))
+    parts = F.broadcast(cut(parts))  # a row per strip: at most 10 000 for each system
+    ours = located.join(parts, ["code", "strip"]).select("code", "strip", F.pmod(F.xxhash64("k", "x", "y"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "k", "x", "y", F.lit(None).cast("double").alias("x2"), F.lit(None).cast("double").alias("y2"))
+    theirs = edges.mapInPandas(strips_of, "code int, region string, x1 double, y1 double, x2 double, y2 double, strip long").join(parts, ["code", "strip"])
+    theirs = theirs.select("code", "strip", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("region").alias("k"), F.col("x1").alias("x"), F.col("y1").alias("y"), "x2", "y2")
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, edges_here = None, [], None
+        for pdf in batches:
+            key_of = list(zip(pdf["code"], pdf["strip"], pdf["part"], strict=True))
+            starts = [0, *[i for i in range(1, len(key_of)) if key_of[i] != key_of[i - 1]], len(key_of)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if key_of[a] != now:
+                    now, held, edges_here = key_of[a], [], None
+                rows = pdf.iloc[a:b]
+                of_edges = (rows["kind"] == 0).to_numpy()
+                if of_edges.any():
+                    held.append(rows[of_edges])
+                rows = rows[~of_edges]
+                if len(rows) and held:
+                    if edges_here is None:
+                        every = pd.concat(held, ignore_index=True).sort_values("k", kind="stable", ignore_index=True)
+                        names, number = np.unique(every["k"].to_numpy(), return_inverse=True)
+                        edges_here = ({"x1": every["x"].to_numpy(), "y1": every["y"].to_numpy(), "x2": every["x2"].to_numpy(), "y2": every["y2"].to_numpy(), "region": number}, names)
+                    k = rows["k"].to_numpy()
+                    for i, r in points_in_regions(rows["x"].to_numpy(), rows["y"].to_numpy(), *edges_here):
+                        yield pd.DataFrame({"point_key": k[i], "region_key": r})
+
+    both = theirs.unionByName(ours).repartition("code", "strip", "part").sortWithinPartitions("code", "strip", "part", "kind")
+    return both.mapInPandas(sweep, "point_key string, region_key string").distinct()

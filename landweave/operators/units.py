@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landweave.session import lookup_join, maybe_broadcast
+from landweave.session import cut, lookup_join, maybe_broadcast
 
 # Spellings of scales, square marks, SI prefixes, roots and exponents, each with its log prior.
 SCALES = {"k": (1e3, -1.5), "'000": (1e3, -0.5), "000": (1e3, -1.0), "thousand": (1e3, -0.5), "hundred": (1e2, -0.5), "lakh": (1e5, -0.5), "lac": (1e5, -0.8), "lakhs": (1e5, -0.5), "million": (1e6, -0.5), "crore": (1e7, -0.5), "हजार": (1e3, -0.5), "लाख": (1e5, -0.5)}
@@ -168,14 +167,24 @@ def read_pattern(pattern: str, unit: str | None, default: str | None) -> list[tu
         return None
     options = [segment(x.strip(_SEPARATORS + " "), True) for x in rest]
     best: tuple[float, list] | None = None
-    for combination in itertools.product(*[list(o.items()) for o in options]):
-        codes = [c for (c, _), _ in combination]
-        family = next((f for f in FAMILIES if all(c in f for c in codes)), None)
-        if family is None or [family.index(c) for c in codes] != sorted({family.index(c) for c in codes}):
-            continue
-        score = sum(s for _, s in combination)
-        if best is None or score > best[0]:
-            best = (score, [(i, c, m) for i, ((c, m), _) in enumerate(combination)])
+    for family in FAMILIES:
+        # best score of the parts read so far by the unit read last: units of one family follow in falling order
+        states: dict[int, tuple[float, list]] = {-1: (0.0, [])}
+        for i, option in enumerate(options):
+            step: dict[int, tuple[float, list]] = {}
+            for (code, mult), score in option.items():
+                if code not in family:
+                    continue
+                at = family.index(code)
+                for last, (total, terms) in states.items():
+                    if last < at and (at not in step or total + score > step[at][0]):
+                        step[at] = (total + score, [*terms, (i, code, mult)])
+            states = step
+            if not states:
+                break
+        for score, terms in states.values():
+            if best is None or score > best[0]:
+                best = (score, terms)
     return best[1] if best else None
 
 
@@ -215,6 +224,7 @@ def normalise_areas(df: DataFrame, sources: DataFrame, area_units: DataFrame, *,
     key = ["__u_pattern", "__u_unit", "__u_default"]
     patterns = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("__u_n"))
     terms = patterns.mapInPandas(_read_batches, "__u_pattern string, __u_unit string, __u_default string, __u_n long, __u_terms array<struct<ix int, unit string, mult double>>").filter("__u_terms is not null")
+    terms = cut(terms)  # read once: its size is asked for before the join
     keyed = lookup_join(keyed, terms, key, counts="__u_n")
 
     known = area_units.select(F.lower(F.trim("district")).alias("__u_district"), F.col("unit_code").alias("code"), F.col("sqm_per_unit").alias("x")).filter("code is not null and x > 0")

@@ -9,6 +9,7 @@ from landweave.operators.drift import schema_changes, unified_table
 from landweave.operators.proximity import near_pairs, regions_containing, with_point_position
 from landweave.operators.timestamps import normalise_timestamps
 from landweave.operators.units import normalise_areas
+from landweave.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point records at most 30 m from each other, and the survey zones that contain each."""
-    points = with_point_position(table(spark, sf_dir, "source_records").select("source_record_id", "geometry", "crs"), "geometry", "crs").filter("lon is not null and lat is not null").select("source_record_id", "lon", "lat")
+    points = cut(with_point_position(table(spark, sf_dir, "source_records").select("source_record_id", "geometry", "crs"), "geometry", "crs").filter("lon is not null and lat is not null").select("source_record_id", "lon", "lat"))
     near = near_pairs(points, "source_record_id", "lon", "lat", 30.0).select(F.lit("near").alias("relation_kind"), "left_key", "right_key")
     inside = regions_containing(points, "source_record_id", "lon", "lat", table(spark, sf_dir, "survey_zones"), "zone_id", "geometry", "crs")
     return near.unionByName(inside.select(F.lit("inside").alias("relation_kind"), F.col("point_key").alias("left_key"), F.col("region_key").alias("right_key")))

@@ -3,7 +3,7 @@ import json
 import numpy as np
 
 from landweave.functions.crs import earth_centred, lonlat_arrays, utm_forward
-from landweave.operators.proximity import EdgeSweep, KdSplits, close_pairs, near_pairs, regions_containing, with_point_position
+from landweave.operators.proximity import KdSplits, close_pairs, near_pairs, points_in_regions, regions_containing, with_point_position
 
 
 def test_utm_round_trip():
@@ -73,7 +73,24 @@ def test_sweep_equals_ray_casting():
     angle = np.sort(rng.random(25) * 2 * np.pi)
     ring = np.stack([np.cos(angle), np.sin(angle)], 1) * (0.4 + rng.random((25, 1)))
     ring = np.r_[ring, ring[:1]]
-    sweep = EdgeSweep(ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1], np.zeros(25, dtype=int))
+    a, b = ring[:-1], ring[1:]
+    swap = (a[:, 0] > b[:, 0])[:, None]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    edges = {"x1": a[:, 0], "y1": a[:, 1], "x2": b[:, 0], "y2": b[:, 1], "region": np.zeros(25, dtype=int)}
     pts = rng.random((500, 2)) * 3 - 1.5
-    got = {int(i) for a, _ in sweep.containing(pts[:, 0], pts[:, 1]) for i in a}
+    got = {int(i) for at, _ in points_in_regions(pts[:, 0], pts[:, 1], edges, np.array(["r"])) for i in at}
     assert got == {i for i, p in enumerate(pts) if contains([[ring]], *p)}
+
+
+def test_regions_in_many_strips(spark, monkeypatch):
+    """Strips of few points, and a third of all points at one x: the rows stay those of one strip."""
+    from landweave.operators import proximity
+
+    rng = np.random.default_rng(5)
+    at = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.random((400, 2)) * 10)] + [(f"q{i}", 5.0, float(y)) for i, y in enumerate(rng.random(200) * 10)]
+    zones = [(f"z{i}", json.dumps({"type": "Polygon", "coordinates": [[[i, 0], [i + 3, 1], [i + 2, 9], [i, 8], [i, 0]]]}), "EPSG:4326") for i in range(7)]
+    points, regions = spark.createDataFrame(at, "k string, lon double, lat double"), spark.createDataFrame(zones, "z string, g string, c string")
+    one = {tuple(r) for r in regions_containing(points, "k", "lon", "lat", regions, "z", "g", "c").collect()}
+    monkeypatch.setattr(proximity, "STRIP_POINTS", 20)
+    assert {tuple(r) for r in regions_containing(points, "k", "lon", "lat", regions, "z", "g", "c").collect()} == one
+    assert len(one) > 600

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from landweave.operators.units import normalise_areas, read_pattern, segment, unit_of
@@ -30,3 +32,12 @@ def test_rows(spark):
     ]
     got = {r["id"]: r["area_sqm"] for r in normalise_areas(spark.createDataFrame(rows, schema), sources, units).collect()}
     assert {k: None if v is None else round(v, 2) for k, v in got.items()} == {1: 12.5, 2: 1672.25, 3: 1224.59, 4: 20000000.0, 5: None, 6: None, 7: None, 8: None, 9: None, 10: 5058.57, 11: None, 12: None, 13: None}
+
+
+def test_compounds_of_any_length_end():
+    began = time.time()
+    assert read_pattern("#a" * 200, None, None) is None
+    assert read_pattern("#b " * 200, None, None) is None
+    assert read_pattern("# bigha # biswa # biswansi", None, None) == [(0, "bigha", 1.0), (1, "biswa", 1.0), (2, "biswansi", 1.0)]
+    assert read_pattern("#a-#g", None, None) == [(0, "acre", 1.0), (1, "guntha", 1.0)]
+    assert time.time() - began < 1
