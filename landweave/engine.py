@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.operators import canonical, catalog, compare, components, features, link, spatial_join, topology
+from landweave.operators import canonical, catalog, compare, components, features, jobs, link, spatial_join, topology
 from landweave.operators.catalog import Catalog
+from landweave.operators.reproject import reproject
 from landweave.sources.readers import check_upload, read_geojson_text, reader_for
 from landweave.types import MERGED_FIELDS, STAGES, InvalidInput
 
@@ -36,6 +37,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, catalog_path: str):
         self.spark, self.catalog = spark, Catalog(spark, catalog_path)
+        self.jobs = jobs.JobStore(spark, f"{catalog_path.rstrip('/')}.jobs")
 
     def ingest(self, path: str, source_type: str = "other", source_crs: str | None = None, register: bool = True) -> Ingested:
         check_upload(path)
@@ -61,12 +63,16 @@ class Engine:
         """Exact linkage, then candidates if a ``scorer`` (DataFrame of candidate pairs -> decision) is given."""
         if not 1 <= len(source_ids) <= 20:
             raise InvalidInput("between 1 and 20 sources")
+        unknown = [s for s in source_ids if not self.catalog.has(s)]
+        if unknown:
+            raise InvalidInput(f"sources not found: {', '.join(unknown)}")
         records = canonical.union_sources([self.catalog.source(s) for s in source_ids])
         records = link.with_identity(records.withColumn("row_ix", F.col("source_ix").cast("long") * (1 << 40) + F.col("row_ix")))
         candidates = None
         if scorer is not None:
-            boxed = spatial_join.with_boxes(records.select("row_ix", "source_id", "geometry"), "geometry")
-            candidates = scorer(spatial_join.spatial_candidates(boxed))
+            # boxes of one system: geometries of unknown systems meet nothing
+            placed = reproject(records.select("row_ix", "source_id", "geometry", "crs"), "geometry", "crs", 4326).filter("geometry is not null")
+            candidates = scorer(spatial_join.spatial_candidates(spatial_join.with_boxes(placed.select("row_ix", "source_id", "geometry"), "geometry")))
             firsts = records.groupBy("identity_key").agg(F.min("row_ix").alias("first"))
             exact = records.join(firsts, "identity_key").select(F.col("first").alias("left_ix"), F.col("row_ix").alias("right_ix"))
             linked = candidates.filter("decision = 'linked'").select("left_ix", "right_ix").unionByName(exact)
@@ -76,7 +82,26 @@ class Engine:
         fields = [f for f in MERGED_FIELDS if f in records.columns]
         ran = {"validation", "crs", "geometry", "provenance", "export"} | ({"candidate_matching", "entity_resolution"} if scorer is not None else set())
         stages = self.spark.createDataFrame([(s, "COMPLETED" if s in ran else "SKIPPED", None if s in ran else "no trained model is configured") for s in STAGES], "stage string, status string, reason string")
-        return Harmonised(link.merge_groups(records, fields), link.conflict_rows(records, fields), link.missing_attribute_rows(records), candidates, stages)
+        return Harmonised(jobs.merged_features(records, fields), link.conflict_rows(records, fields), link.missing_attribute_rows(records), candidates, stages)
+
+    def save_job(self, job_id: str, source_ids: list[str], result: Harmonised) -> None:
+        self.jobs.save(job_id, source_ids, result.features, result.conflicts)
+
+    def export_job(self, job_id: str, fmt: str, path: str) -> None:
+        """Write a job's features (geojson, csv), conflicts or provenance as lines of text, in parallel; CSV has its header in the first file."""
+        self.jobs.export(job_id, fmt).write.mode("overwrite").text(path)
+
+    def layers(self) -> DataFrame:
+        return catalog.layers(self.catalog.sources())
+
+    def layer(self, source_id: str) -> DataFrame:
+        """(source_id, row_ix, feature, warning): a source as GeoJSON features in EPSG:4326."""
+        records = self.catalog.source(source_id)
+        shown = reproject(records.withColumn("attributes", F.col("raw_attributes")), "geometry", "crs", 4326)
+        return catalog.geojson_features(shown)
+
+    def dashboard(self, warnings: DataFrame | None = None) -> DataFrame:
+        return jobs.dashboard_totals(self.catalog.sources(), self.jobs.jobs(), warnings)
 
     def topology(self, layer: DataFrame, key: str = "feature_id", geometry: str = "geometry") -> DataFrame:
         return topology.topology_issues(layer, key, geometry)
@@ -93,7 +118,7 @@ class Engine:
     def export_source(self, source_id: str, fmt: str, path: str) -> None:
         records = self.catalog.source(source_id)
         if fmt == "geojson":
-            catalog.write_geojson(records.withColumn("attributes", F.col("raw_attributes")), path)
+            catalog.write_geojson(reproject(records.withColumn("attributes", F.col("raw_attributes")), "geometry", "crs", 4326), path)
         elif fmt == "csv":
             catalog.write_csv(records, "raw_attributes", path)
         else:

@@ -80,6 +80,10 @@ class Catalog:
     def source(self, source_id: str) -> DataFrame:
         return self.sources().filter(F.col("source_id") == source_id)
 
+    def has(self, source_id: str) -> bool:
+        fs, p = self._fs(f"{self.path}/source_id={source_id}")
+        return bool(fs.exists(p))
+
     def drop(self, source_id: str) -> bool:
         fs, p = self._fs(f"{self.path}/source_id={source_id}")
         return bool(fs.delete(p, True))
