@@ -58,6 +58,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor_votes(rows, "parcel_id", "row_id", "trust", "instant_micros", fields).select(F.col("group_id").alias("parcel_id"), "field_name", "row_id")
 
 
+def p5_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that trust-and-recency votes choose, with the winner's share of the votes."""
+    rows, fields = _parcel_versions(spark, sf_dir)
+    voted = survivor_votes(rows, "parcel_id", "row_id", "trust", "instant_micros", fields, by_votes=True)
+    return voted.select(F.col("group_id").alias("parcel_id"), "field_name", "row_id", F.round("support", 6).alias("support"))
+
+
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One surviving record per parcel with several rows."""
     rows, fields = _parcel_versions(spark, sf_dir)
@@ -101,7 +108,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select(F.col("doc_key").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_survivors": p5_survivors, "p8_pack": p8_pack, "p8_pack_chars": p8_pack_chars}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p9_found": p9_found, "p9_reparameterised": p9_reparameterised, "p10_found": p10_found, "p3_found": p3_found, "p5_found": p5_found, "p5_voted": p5_voted, "p5_survivors": p5_survivors, "p8_pack": p8_pack, "p8_pack_chars": p8_pack_chars}
 
 SQL = {
     "p8_pack_chars": f"SELECT doc_id, greatest(1, ceil(n_chars / {CAPACITY}.0))::BIGINT AS n_pieces, n_chars::BIGINT AS placed, n_chars::BIGINT AS reach, 0::BIGINT AS containers_over, 0::BIGINT AS full_containers_shared FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL",

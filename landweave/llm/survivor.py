@@ -42,12 +42,17 @@ def usable_text(c: Column) -> Column:
     return F.when((low != "") & ~low.isin(*STAND_INS), low)
 
 
-def survivor_votes(df: DataFrame, group: str, row: str, trust: str, micros: str, fields: list[Field], half_life_days: float = 365.0) -> DataFrame:
+#: The instant at which a vote has the weight of its trust alone; only the ratio of votes counts, so any fixed one serves.
+EPOCH_MICROS = 1_577_836_800_000_000
+
+
+def survivor_votes(df: DataFrame, group: str, row: str, trust: str, micros: str, fields: list[Field], half_life_days: float = 365.0, by_votes: bool = False) -> DataFrame:
     """(group_id, field_name, row_id, value, support, votes): the chosen row of every field of every group.
 
     Fields are unpivoted to long rows, unusable values dropped. Each normalised value collects votes of trust times
     a recency decay that halves every ``half_life_days``; ``support`` is the winner's share of all votes. The winner is
-    taken by max_by over (trust, instant, lowest row): the stated precedence, which sums of votes cannot give.
+    taken by max_by over (trust, instant, lowest row): the stated precedence, which sums of votes cannot give. With
+    ``by_votes`` the value with most votes wins instead (ties by the same precedence), supplied by its best row.
     Null trust counts lowest, a null instant oldest; groups with a null key and groups of one row have no result; two
     usable values never tie as row ids differ. Partial sums are combined before the shuffle, so no group is gathered in one task.
     """
@@ -55,10 +60,10 @@ def survivor_votes(df: DataFrame, group: str, row: str, trust: str, micros: str,
     cells = F.array(*[F.struct(F.lit(f.name).alias("field_name"), F.col(f"v{i}").alias("value")) for i, f in enumerate(fields)])
     long = rows.select("g", "r", "t", "at", F.explode(F.filter(cells, lambda x: x["value"].isNotNull())).alias("c")).select("g", "r", "t", "at", "c.field_name", "c.value")
     rank = F.struct("t", "at", (-F.col("r")).alias("low"))
-    age = F.greatest(F.lit(0.0), (F.unix_micros(F.current_timestamp()) - F.col("at").cast("double")) / 86_400e6)
-    vote = F.greatest(F.col("t"), F.lit(0.0)) * F.pow(F.lit(0.5), F.least(age / half_life_days, F.lit(60.0)))
+    age = (F.lit(float(EPOCH_MICROS)) - F.col("at").cast("double")) / 86_400e6
+    vote = F.greatest(F.col("t"), F.lit(0.0)) * F.pow(F.lit(0.5), F.greatest(F.lit(-60.0), F.least(age / half_life_days, F.lit(60.0))))
     per_value = long.groupBy("g", "field_name", "value").agg(F.sum(vote).alias("votes"), F.max(rank).alias("best"))
-    chosen = per_value.groupBy("g", "field_name").agg(F.max_by(F.struct("value", "votes", "best"), "best").alias("w"), F.sum("votes").alias("all_votes"))
+    chosen = per_value.groupBy("g", "field_name").agg(F.max_by(F.struct("value", "votes", "best"), F.struct("votes", "best") if by_votes else F.col("best")).alias("w"), F.sum("votes").alias("all_votes"))
     several = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("g")
     out = chosen.join(several, "g", "left_semi")
     return out.select(F.col("g").alias("group_id"), "field_name", (-F.col("w.best.low")).alias("row_id"), F.col("w.value").alias("value"), F.try_divide("w.votes", "all_votes").alias("support"), F.col("w.votes").alias("votes"))

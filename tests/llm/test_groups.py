@@ -77,3 +77,14 @@ def test_survivors(spark):
     assert wide == {"p": "pond", "r": "grove"}
     assert survivor_votes(df.limit(0), "g", "r", "t", "m", fields).count() == 0
     assert df.select(usable_text(F.lit(" To be  allotted "))).first()[0] is None
+
+
+def test_votes_decide(spark):
+    """Two rows of middling trust outvote one of greater trust; an old row's vote has decayed."""
+    year = 365 * 86_400_000_000
+    rows = [("p", 1, 5, 50 * year, "A"), ("p", 2, 3, 50 * year, "b"), ("p", 3, 3, 50 * year, "B"), ("q", 4, 8, 40 * year, "A"), ("q", 5, 3, 50 * year, "B"), ("q", 6, 9, None, "C")]
+    df = spark.createDataFrame(rows, "g string, r long, t int, m long, v string")
+    fields = [Field("v", usable_text(F.col("v")))]
+    voted = {r["group_id"]: (r["row_id"], round(r["support"], 3)) for r in survivor_votes(df, "g", "r", "t", "m", fields, by_votes=True).collect()}
+    assert voted == {"p": (2, 0.545), "q": (5, 0.997)}
+    assert {r["group_id"]: r["row_id"] for r in survivor_votes(df, "g", "r", "t", "m", fields).collect()} == {"p": 1, "q": 6}
