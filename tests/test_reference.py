@@ -169,6 +169,17 @@ def test_confidence_goldens(spark):
         compare.confidence(bad, {"model": "m"}, "s").collect()
 
 
+def test_scorer_after_observed_table(spark):
+    """A table counted while it was written leaves state in the session that no task can be sent."""
+    from landweave.operators import scoring
+    from landweave.session import counted, cut
+
+    rows = cut(spark.createDataFrame([(i, i / 20, float(i > 9)) for i in range(20)], "k int, x double, label double"))
+    assert counted(rows) == 20
+    got = {r["k"]: r["decision"] for r in scoring.score(scoring.fit_scorer(rows, ["x"]), rows, 0.5).collect()}
+    assert got == {i: "match" if i > 9 else "no_match" for i in range(20)}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(round(v, 5) + 0.0)
