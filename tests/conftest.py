@@ -19,3 +19,19 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of all tables written meanwhile, with counted lookups shuffled: what they still broadcast is by estimate."""
+    from landweave import session
+
+    seen, stored = [], session.stored
+
+    def watched(df, *args, **kwargs):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, *args, **kwargs)
+
+    monkeypatch.setattr(session, "stored", watched)
+    monkeypatch.setattr(session.F, "broadcast", lambda df: df.hint("merge"))
+    return seen

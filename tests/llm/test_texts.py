@@ -146,3 +146,13 @@ def test_found_against_duckdb(spark, name):
     cursor = db.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     assert {tuple(r[c] for c in names) for r in df.collect()} == set(cursor.fetchall())
+
+
+def test_no_estimated_broadcast_in_matching(spark, plans):
+    """Spellings become some ten forms each: a join of them would be broadcast by the size of the names' file."""
+    rows = [("a1", "x", "T", "Rampur", "12/1", 900.0, 1), ("b1", "y", "T", "Rampurr", "12/1", 901.0, 2), ("c1", "z", "T", "Rampur", "12/1", 900.0, 3), ("c2", "z", "T", "Sonagaon", "7", 50.0, 4)]
+    df = spark.createDataFrame([(i, s, t, v, k, a, None, None, r) for i, s, t, v, k, a, r in rows], "record_id string, source string, tehsil string, village string, khasra string, area_sqm double, geometry string, crs string, row long")
+    found = match_records(df)
+    assert {(r["left_record_id"], r["right_record_id"]) for r in found.collect()} == {("a1", "b1"), ("a1", "c1"), ("b1", "c1")}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and not [p for p in plans if "BroadcastHashJoin" in p]
