@@ -43,3 +43,15 @@ def test_unified_and_empty(spark):
     got = {(r["raw_id"], r["field_name"], r["type"], r["value"]) for r in unified_table(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(0, "a_b", "text", "1"), (1, "a_b", "text", "2"), (2, "a_b", "text", "x"), (3, "a_b", "text", None)}
     assert schema_changes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_only_counted_lookups_are_broadcast(spark, plans):
+    one = [{"k": 1, "a": n, "b": f"x{n}"} for n in range(8)]
+    two = [{"k": 1, "c": n, "b": f"x{n}"} for n in range(8)]
+    three = [{"k": 1, "c": n, "d": f"x{n}"} for n in range(8)]
+    found = schema_changes(spark.createDataFrame(_rows([(1, one), (2, two), (5, [None]), (6, two), (9, three)]), SCHEMA))
+    assert {(r["file_no"], r["change_kind"], r["field_name"], r["new_name"]) for r in found.collect()} == {
+        (2, "renamed", "a", "c"), (9, "renamed", "b", "d"),
+        *((5, "removed", f, "") for f in "kcb"), *((6, "added", f, "") for f in "kcb"),
+    }
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
