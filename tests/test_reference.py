@@ -169,6 +169,26 @@ def test_confidence_goldens(spark):
         compare.confidence(bad, {"model": "m"}, "s").collect()
 
 
+def test_gaps_by_batches(spark):
+    """Blocks are found in runs of sorted rows, without a call for each, and may go on in the next batch."""
+    import pandas as pd
+
+    from landweave.operators import topology
+
+    ring = [("n", 0, 2, 3, 3), ("s", 0, 0, 3, 1), ("w", 0, 1, 1, 2), ("e", 2, 1, 3, 2)]
+    shapes = [(f"{b}{n}", f"POLYGON (({b + x} {y}, {b + u} {y}, {b + u} {v}, {b + x} {v}, {b + x} {y}))") for b in (10, 20, 30) for n, x, y, u, v in ring]
+    shapes += [("l", '{"type":"Polygon","coordinates":[[[50,0],[53,0],[53,1],[51,1],[51,3],[50,3]]]}'), ("j", "POLYGON ((51 2, 52 2, 52 1, 53 1, 53 3, 51 3, 51 2))"), ("x", None), ("y", "POLYGON EMPTY"), ("z", "no")]
+    found = topology.gaps(spark.createDataFrame(shapes, "feature_id string, geometry string"))
+    assert "InPandas" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan
+    want = {(f"{b}e", 0, 1.0, tuple(f"{b}{n}" for n in "ensw")) for b in (10, 20, 30)} | {("j", 0, 1.0, ("j", "l"))}
+    assert {(r["block"], r["gap"], r["area"], tuple(r["feature_ids"])) for r in found.collect()} == want
+    rows = next(topology._outlines(iter([pd.DataFrame(shapes, columns=["id", "geometry"])]))).assign(component=[*"aaaabbbbcccc", "d", "d"])
+    assert rows["shape"].notna().sum() == 2
+    for at in range(len(rows) + 1):
+        parts = list(topology._block_gaps(iter([rows[:at], rows[at:]])))
+        assert [r.block for p in parts for r in p.itertuples()] == [*"abcd"]
+
+
 def test_scorer_after_observed_table(spark):
     """A table counted while it was written leaves state in the session that no task can be sent."""
     from landweave.operators import scoring
