@@ -156,3 +156,14 @@ def test_no_estimated_broadcast_in_matching(spark, plans):
     assert {(r["left_record_id"], r["right_record_id"]) for r in found.collect()} == {("a1", "b1"), ("a1", "c1"), ("b1", "c1")}
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 1 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_long_postings_keep_every_pair(spark):
+    """Records of one place without plot and extent share nothing else: a long posting must not lose them."""
+    at = '{"type":"Point","coordinates":[75.0,24.0]}'
+    rows = [(f"{s}{i}", s, "T", *x, at, None, 10 * n + i) for n, s in enumerate("ABC") for i, x in enumerate([(None, None, None), ("Hagolupur", None, 500.0), ("Hagolupur", "12/1", None)])]
+    rows += [(f"{s}{9}", s, "T", "Hagolupur", "77", 900.0, None, None, 90 + n) for n, s in enumerate("ABC")]
+    df = spark.createDataFrame(rows, "record_id string, source string, tehsil string, village string, khasra string, area_sqm double, geometry string, crs string, row long")
+    whole, split = (sorted((r["left_record_id"], r["right_record_id"], round(r["confidence"], 9)) for r in match_records(df, n).collect()) for n in (1000, 2))
+    assert whole == split
+    assert len({x[:2] for x in whole}) == len(whole) == 27 + 3
